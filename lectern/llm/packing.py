@@ -9,6 +9,7 @@ group could not fill go on, whole, to fewer and fewer groups.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -25,40 +26,56 @@ END_ID = 0
 GROUP = 6000
 #: Of a group's underfull bins, one in so many (the emptiest) goes on to the next round.
 PASS_ON = 8
-#: Words remembered in a worker.
-WORDS = 300_000
-#: A word with at most one space before it, or white space: no pre-token crosses these.
-_PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Characters that Python counts as white space and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Characters of which both libraries are known to think alike; a text with any other goes
+#: to the tokenizer's own library.
+_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]")
+#: How byte-level BPE cuts a text before merging (a fixed value of this kind of tokenizer).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for
+    themselves, the others from code point 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    The vocabulary is the tokenizer file's.  Where its merges come in the order of its ids,
+    plain texts are merged by a faster library with the same vocabulary and the same result.
+    """
+
+    def __init__(self, path: str):
+        import json
 
-    def __init__(self, path: str, most: int = WORDS):
         from lectern.llm.token_counts import load
 
-        self.tok, self.most, self.known = load(path), most, {}
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.tok, self.fast = load(path), None
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tok.to_str())
+        vocab, merges, letters = spec["model"]["vocab"], spec["model"]["merges"], _byte_letters()
+        merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in merges]
+        in_order = merged == list(range(len(vocab) - len(merges), len(vocab)))
+        if in_order and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+            self.fast = tiktoken.Encoding("fast", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def text(self, text: str) -> bytes:
-        if _ODD.search(text) or self.special and self.special.search(text):
-            return self._encode([text])[0]
-        parts, known = _PARTS.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._encode(new)))
-            return b"".join(map(known.__getitem__, parts))
+        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path)
 
 
 def cut(total: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -72,7 +89,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, key: str = "do
     kind = documents.schema[key].dataType.simpleString()
 
     def make():
-        enc = Encoder(path)
+        enc = encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
 
         def one(batch):
