@@ -14,6 +14,8 @@ occurrence are removed.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,12 @@ class Names:
             return np.array(list(map(self.known.__getitem__, words)), np.uint64)
 
 
+@functools.cache
+def _names() -> Names:
+    """One for each worker process."""
+    return Names()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -144,7 +152,7 @@ def anchors(documents: DataFrame) -> DataFrame:
     """(key) of every anchor of every document."""
 
     def make():
-        names = Names()
+        names = _names()
 
         def one(batch):
             out = [np.zeros(0, np.int64)]
@@ -163,7 +171,7 @@ def repeated_windows(documents: DataFrame, repeated: np.ndarray, hot: np.ndarray
     shared = sc.broadcast((repeated, hot))
 
     def make():
-        names = Names()
+        names = _names()
         names_of = ("k1", "k2", "salt", "doc", "pos")
 
         def one(batch):
