@@ -10,6 +10,7 @@ and budget questions with no more encoding than at most one word prefix.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 
 import numpy as np
@@ -71,6 +72,12 @@ class WordCounts:
         return PrefixCounts(self, text)
 
 
+@functools.cache
+def word_counts(path: str) -> WordCounts:
+    """One for each worker process, so that its words are known to later tasks too."""
+    return WordCounts(path)
+
+
 class PrefixCounts:
     """Token count of text[:i] for every i of one text.
 
@@ -125,7 +132,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT, key: str =
     kind = documents.schema[key].dataType.simpleString()
 
     def make():
-        counts = WordCounts(path)
+        counts = word_counts(path)
 
         def one(batch):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -146,7 +153,7 @@ def truncation_points(documents: DataFrame, path: str, budgets: list[int], key:
     kind = documents.schema[key].dataType.simpleString()
 
     def make():
-        counts = WordCounts(path)
+        counts = word_counts(path)
 
         def one(batch):
             out = {"doc_id": [], "budget": [], "n_chars": []}
