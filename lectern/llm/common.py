@@ -35,6 +35,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """mapInArrow with a per-task set-up: make() returns the function for one batch,
     which returns the output columns in the order of the schema."""
