@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import durable, if_small
+
 #: verdict, host, path
 RULES = (
     ("allow", "com", "/"),
@@ -71,7 +73,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     hits = made.join(known, "short").filter("full = digest")
     # the longest rule; 'block' beats 'allow' on a tie since max takes the later string
     best = hits.groupBy("host", "head").agg(F.expr("max(struct(length(rule) AS n, verdict AS v, rule AS r))").alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("head").alias("b_head"), "best")
+    # written, so that the join below may split a hot host, or need no shuffle at all
+    best = if_small(durable(best.select(F.col("host").alias("b_host"), F.col("head").alias("b_head"), "best")))
     out = judged.join(best, (F.col("host") == F.col("b_host")) & (F.substring("path", 1, longest) == F.col("b_head")), "left")
     return out.select(
         *[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)],
