@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks, durable, map_arrow
+from lectern.llm.common import chunks, durable, if_small, map_arrow
 from lectern.session import run_arrow
 
 ORDER = 5
@@ -281,7 +281,7 @@ def train(documents: DataFrame, labels: DataFrame, table: int = TABLE, curve_row
     """
     known = labels.select("doc_id", F.col("toxic").alias("t")).dropna().filter(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("t").alias("toxic"))
-    texts = documents.select("doc_id", "text").filter(fold() != 0).join(known, "doc_id").withColumn("part", (fold() == 1).cast("int"))
+    texts = documents.select("doc_id", "text").filter(fold() != 0).join(if_small(known), "doc_id").withColumn("part", (fold() == 1).cast("int"))
     counts = durable(count_grams(texts))
     # the commonest gram of each place: at most `table` rows come to the driver
     # (part 1 is the curve's fold: tox0 and ord0 are the counts without it)
