@@ -14,8 +14,6 @@ occurrence are removed.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,43 +29,42 @@ FIRST, LAST, BEFORE, AFTER = 4, 12, 4, 8
 #: handled in slices of the anchors, one pass each.
 FILTER_BITS = 1 << 27
 #: An anchor that occurs more often is dealt over SALTS places first.
-HOT, SALTS = 1000, 64
-#: Words handled at once in a worker, and words remembered.
-CHUNK, WORDS = 400_000, 400_000
+HOT, SALTS = 1000, 63
+_SALT = np.int64(63)
+#: Characters handled at once in a worker.
+CHUNK = 1_000_000
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _M = (1 << 64) - 1
 
 
-class Names:
-    """Hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = WORDS):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
 
-        try:
-            return np.array(list(map(self.known.__getitem__, words)), np.uint64)
-        except KeyError:
-            new = {w for w in words if w not in self.known}
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = set(words)
-            self.known.update((w, xxh64_intdigest(w, 1)) for w in new)
-            return np.array(list(map(self.known.__getitem__, words)), np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-@functools.cache
-def _names() -> Names:
-    """One for each worker process."""
-    return Names()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def names_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(names, bounds) of the words of all texts: a name is the sum of a hash of each of the
+    word's bytes with its place; bounds: where each text's words start and end."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    word = ~_BLANK[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = np.flatnonzero(first)
+    edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    bounds = np.searchsorted(starts, edges).astype(np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    own = data[word]
+    begin = np.flatnonzero(first[word])
+    place = np.arange(len(own)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(own)]])))
+    bytes_ = _mix(np.arange(1, 257).astype(np.uint64) * np.uint64(_C1))
+    places = _mix(np.arange(1, place.max() + 2).astype(np.uint64) * np.uint64(_C2))
+    return _mix(np.add.reduceat(_mix(bytes_[own] + places[place]), begin)), bounds
 
 
 def compress(names: np.ndarray, stop: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +128,10 @@ def windows(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, (best[start + FIRST] & low).astype(np.int64)
 
 
-def _chunks(texts: list[str | None]):
-    """(first row, names, bounds) of runs of rows of about CHUNK words."""
-    for a, b in chunks([len(t or "") // 5 + 1 for t in texts], CHUNK):
-        words = [(t or "").encode().split() for t in texts[a:b]]
-        yield a, words, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-
-
-def _anchored(names: Names, texts: list[str | None]):
-    """Per chunk: first row, names, bounds, window starts, anchors, and the anchors' keys by position."""
-    for a, words, bounds in _chunks(texts):
-        own = names.of([w for ws in words for w in ws])
+def _anchored(texts: list[str | None]):
+    """Per run of rows: first row, names, bounds, window starts, anchors, and the anchors' keys."""
+    for a, b in chunks([len(t or "") + 1 for t in texts], CHUNK):
+        own, bounds = names_of(texts[a:b])
         start, anchor = windows(own, bounds)
         if len(start):
             keys = rolling(own, (BEFORE + AFTER,), _C1)[BEFORE + AFTER]
@@ -152,11 +142,9 @@ def anchors(documents: DataFrame) -> DataFrame:
     """(key) of every anchor of every document."""
 
     def make():
-        names = _names()
-
         def one(batch):
             out = [np.zeros(0, np.int64)]
-            for _, _, _, _, anchor, keys in _anchored(names, batch.column(0).to_pylist()):
+            for _, _, _, _, anchor, keys in _anchored(batch.column(0).to_pylist()):
                 out.append(keys[np.unique(anchor, return_index=True)[1]])
             return {"key": np.concatenate(out)}
 
@@ -166,19 +154,19 @@ def anchors(documents: DataFrame) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, repeated: np.ndarray, hot: np.ndarray, slices: int, piece: int) -> DataFrame:
-    """(k1, k2, salt, doc, pos) of the windows whose anchor is repeated."""
+    """(k1, k2, doc, pos) of the windows whose anchor is repeated.  The low bits of k2 hold
+    the salt, 0 for windows that are not hot."""
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast((repeated, hot))
 
     def make():
-        names = _names()
-        names_of = ("k1", "k2", "salt", "doc", "pos")
+        columns = ("k1", "k2", "doc", "pos")
 
         def one(batch):
             filters = shared.value
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            out = [[np.zeros(0, np.int64)] for _ in names_of]
-            for a, own, bounds, start, anchor, keys in _anchored(names, batch.column(1).to_pylist()):
+            out = [[np.zeros(0, np.int64)] for _ in columns]
+            for a, own, bounds, start, anchor, keys in _anchored(batch.column(1).to_pylist()):
                 again = has_bits(filters[0], keys)
                 if slices > 1:
                     again &= (keys >> 32) % slices == piece
@@ -188,18 +176,18 @@ def repeated_windows(documents: DataFrame, repeated: np.ndarray, hot: np.ndarray
                 often = has_bits(filters[1], keys)
                 salt = np.where(often, 1 + (_mix(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
                 k1, k2 = (_mix(rolling(own, (WINDOW,), c)[WINDOW][start]).view(np.int64) for c in (_C1, _C2))
-                for x, v in zip(out, (k1, k2, salt, doc, start - bounds[row])):
+                for x, v in zip(out, (k1, k2 & ~_SALT | salt, doc, start - bounds[row])):
                     x.append(v)
-            return {k: np.concatenate(v) for k, v in zip(names_of, out)}
+            return {k: np.concatenate(v) for k, v in zip(columns, out)}
 
         return one
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc"), "text"), "k1 long, k2 long, salt int, doc long, pos int", make)
+    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc"), "text"), "k1 long, k2 long, doc long, pos int", make)
 
 
 def later(rows: DataFrame) -> DataFrame:
-    """Rows (k1, k2, salt, doc, pos) to (doc, pos) of all but the first of each key, and,
-    with k1 and k2, the firsts that still have to meet those of other salts.
+    """Rows (k1, k2, doc, pos) to (doc, pos) of all but the first of each key, and, with k1
+    and k2, the firsts that still have to meet those of other salts.
 
     One sorted pass; a task holds a batch and the first row of the key at hand.
     """
@@ -207,29 +195,28 @@ def later(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        head = None  # k1, k2, salt and the first doc, pos of the last key
+        head = None  # k1, k2 and the first doc, pos of the last key
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k1, k2, salt, doc, pos = (batch.column(i).to_numpy() for i in range(5))
+            k1, k2, doc, pos = (batch.column(i).to_numpy() for i in range(4))
             new = np.ones(len(k1), bool)
-            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (salt[1:] != salt[:-1])
-            carried = head is not None and head[:3] == (k1[0], k2[0], salt[0])
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            carried = head is not None and head[:2] == (k1[0], k2[0])
             new[0] = not carried
             at = np.maximum.accumulate(np.where(new, np.arange(len(k1)), -1))
             fd, fp = doc[at], pos[at]
             if carried:
-                fd, fp = np.where(at < 0, head[3], fd), np.where(at < 0, head[4], fp)
-            head = (k1[-1], k2[-1], salt[-1], fd[-1], fp[-1])
+                fd, fp = np.where(at < 0, head[2], fd), np.where(at < 0, head[3], fp)
+            head = (k1[-1], k2[-1], fd[-1], fp[-1])
             gone = (doc != fd) | (pos != fp)
-            meet = new & (salt > 0)
-            pick = gone | meet
+            pick = gone | new & (k2 & _SALT != 0)
             if pick.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(k1[pick], mask=gone[pick]), pa.array(k2[pick], mask=gone[pick]), pa.array(doc[pick]), pa.array(pos[pick].astype(np.int32)),
+                    pa.array(k1[pick], mask=gone[pick]), pa.array(k2[pick] & ~_SALT, mask=gone[pick]), pa.array(doc[pick]), pa.array(pos[pick].astype(np.int32)),
                 ], names=["k1", "k2", "doc", "pos"])
 
-    dealt = rows.repartition("k1", "k2", "salt").sortWithinPartitions("k1", "k2", "salt", "doc", "pos")
+    dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc", "pos")
     return run_arrow(dealt, run, "k1 long, k2 long, doc long, pos int")
 
 
@@ -250,7 +237,7 @@ def repeats(documents: DataFrame, filter_bits: int = FILTER_BITS, hot: int = HOT
         part = counted if slices == 1 else counted.filter(_slice(slices) == piece)
         filled = bit_blocks(part, "key", bits_for(-(-n // slices), filter_bits))
         first = durable(later(repeated_windows(named, filled, busy, slices, piece)))
-        met = first.filter("k1 is not null").select("k1", "k2", F.lit(0).alias("salt"), "doc", "pos")
+        met = first.filter("k1 is not null").select("k1", "k2", "doc", "pos")
         found = first.filter("k1 is null").union(later(met)).select("doc", "pos")
         out = found if out is None else out.union(found)
     return out

@@ -371,6 +371,15 @@ def test_substrings_in_slices_and_salted(spark, edge, edge_rows):
     same(rows(substrings.dedup_substrings(edge, filter_bits=1 << 10, hot=1)), brute_substrings(edge_rows))
 
 
+def test_names_are_those_of_words():
+    texts = ["a bb\u00a0c  a\n", None, "", "bb\u00a0c a", " \x0b\x1c a" + "x" * 5000]
+    names, bounds = substrings.names_of(texts)
+    words = [WORD.findall(t or "") for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert all((names[i] == names[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
+
+
 def test_anchors_follow_the_window_alone():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 1 << 63, 40).astype(np.uint64)
