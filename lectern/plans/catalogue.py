@@ -356,19 +356,17 @@ def dominant_value(spark, place):
 @query(r"""SELECT i.item_id, d.doc_id FROM (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS code FROM benchmark) i
 JOIN (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS said FROM documents) d ON length(code) >= 8 AND contains(said, code)""")
 def echo_guard(spark, place):
-    """Documents that contain a whole item.  The first five words of an item are met by
-    equality with those of each place in a document; the whole item is then looked for."""
-    words = lambda c: F.split(scalars.collapse(c), " ")
+    """Documents that contain a whole item.  An item may start or end inside a word of a
+    document, but its inner words are whole there: the longest of them is met by equality
+    with the document's distinct words, and the whole item is then looked for.  Items of
+    under three words have no inner word and are not looked for."""
     b = read(spark, place, "benchmark").select("item_id", scalars.collapse(F.col("text")).alias("code")).filter("length(code) >= 8")
-    # an item may start inside a word, so its second to fourth words are the key
-    key = F.when(F.size(F.split("code", " ")) >= 5, F.array_join(F.slice(F.split("code", " "), 2, 3), " "))
-    b = b.withColumn("key", key)
+    b = b.withColumn("w", F.split("code", " ")).filter("size(w) >= 3").withColumn("inner", F.slice("w", 2, F.size("w") - 2))
+    b = b.select("item_id", "code", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"].alias("key"))
     d = read(spark, place, "documents").select("doc_id", scalars.collapse(F.col("text")).alias("said"))
-    w = F.split("said", " ")
-    spots = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 3), " ")))).alias("key"))
-    met = spots.join(b.filter("key IS NOT NULL"), "key").select("item_id", "doc_id", "code").distinct()
-    long = met.join(d, "doc_id").filter(F.col("said").contains(F.col("code"))).select("item_id", "doc_id")
-    return long
+    spots = d.select("doc_id", F.explode(F.array_distinct(F.split("said", " "))).alias("key"))
+    met = spots.join(b, "key").select("item_id", "doc_id", "code")
+    return met.join(d, "doc_id").filter(F.col("said").contains(F.col("code"))).select("item_id", "doc_id")
 
 
 @query()
