@@ -182,6 +182,37 @@ def test_line_dedup(spark, edge, edge_rows, clashing, none, small):
     assert rows(line_dedup.dedup_lines(clashing).select("doc", "fp", "words").distinct()) == [("clash",) * 3]
 
 
+def test_line_dedup_against_edit_similarity_alone(spark):
+    """Lines with one character changed, cut or added, of 5 characters and more: every pair
+    within the edit similarity is linked, whatever a fingerprint says."""
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 10)))
+    lines = []
+    for n in (1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 27, 40, 70):
+        line = " ".join(word() for _ in range(n))
+        line = line if len(line) >= 5 else line + "xyzab"
+        at = len(line) // 2 + (line[len(line) // 2] == " ")
+        lines += [line, line[:at] + "é" + line[at + 1 :], line[:at] + line[at + 1 :], line[:at] + "é" + line[at:]]
+    data = [(i, x) for i, x in enumerate(lines)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    first = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if max(len(a), len(lines[j])) * 0.8 <= min(len(a), len(lines[j])) and 5 * distance(a, lines[j]) <= max(len(a), len(lines[j])):
+                first = [first[j] if f == first[i] else f for f in first]
+    got = dict(rows(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_removed")))
+    assert got == {i: int(first[i] != i) for i in range(len(lines))}
+
+
 @pytest.mark.parametrize("lane", [8, 16_383])
 def test_line_simhash_of_long_lines(spark, monkeypatch, lane):
     monkeypatch.setattr(line_dedup, "LANE", lane)
