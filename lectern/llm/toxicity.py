@@ -2,8 +2,9 @@
 
 Two character 5-gram models, of toxic and of ordinary text, discount their own counts and
 back off to one shared Kneser-Ney model of all counts.  A document's score compares their
-length-normalised log-likelihoods.  All labelled training texts are counted, by Spark; the
-tables that executors get are bounded by parameters.
+length-normalised log-likelihoods.  All labelled training texts are counted, by Spark, and
+every n-gram of them is in the models: the tables of driver and executors grow with the
+number of distinct n-grams.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ from lectern.session import run_arrow
 ORDER = 5
 #: Bits of a character in a packed n-gram; code points beyond are hashed into them.
 CHAR_BITS = 12
-#: N-grams in a model table, at most; of those that share a place the commonest stays, the
-#: others back off.
-TABLE = 1 << 20
 #: Labelled rows that the final logistic curve is fitted on, at most.
 CURVE_ROWS = 8_000
 #: Characters of the window whose mean is a document's strongest passage.
@@ -127,7 +125,7 @@ def _levels(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.n
     """Open tables: what finds its place taken goes to the next, smaller table."""
     out = []
     while len(keys):
-        size = max(4, (4 * len(keys) - 1).bit_length())
+        size = max(4, (2 * len(keys) - 1).bit_length())
         at = _slots(keys, size)
         k, v = np.full(1 << size, -1, np.int64), np.zeros(1 << size, np.float32)
         k[at], v[at] = keys, values
@@ -181,7 +179,7 @@ def shared_model(suffix: np.ndarray, continuations: np.ndarray) -> np.ndarray:
 
 
 def build(gram: np.ndarray, tox: np.ndarray, ord_: np.ndarray) -> Model:
-    """The ratio tables from the counts of the kept grams (sorted by gram)."""
+    """The ratio tables from the counts of all grams (sorted by gram)."""
     if not tox.sum() or not ord_.sum():
         return Model([], [])
     suffix, inverse, number = np.unique(gram & _LOW, return_inverse=True, return_counts=True)
@@ -270,7 +268,7 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def train(documents: DataFrame, labels: DataFrame, table: int = TABLE, curve_rows: int = CURVE_ROWS) -> Scorer | None:
+def train(documents: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Scorer | None:
     """Learn from the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     All of them are counted.  The curve from ratios to a score is fitted on documents of
@@ -283,13 +281,9 @@ def train(documents: DataFrame, labels: DataFrame, table: int = TABLE, curve_row
     known = known.groupBy("doc_id").agg(F.max("t").alias("toxic"))
     texts = documents.select("doc_id", "text").filter(fold() != 0).join(if_small(known), "doc_id").withColumn("part", (fold() == 1).cast("int"))
     counts = durable(count_grams(texts))
-    # the commonest gram of each place: at most `table` rows come to the driver
-    # (part 1 is the curve's fold: tox0 and ord0 are the counts without it)
-    top = (
-        counts.groupBy(F.pmod(F.xxhash64("gram"), F.lit(table)).alias("place"))
-        .agg(F.expr("max(struct(tox + ord AS n, gram, tox, ord, tox0, ord0)) AS best")).select("best.*").toArrow().sort_by("gram")
-    )
-    gram, tox, ord_, tox0, ord0 = (top[c].to_numpy() for c in ("gram", "tox", "ord", "tox0", "ord0"))
+    # part 1 is the curve's fold: tox0 and ord0 are the counts without it
+    every = counts.toArrow().sort_by("gram")
+    gram, tox, ord_, tox0, ord0 = (every[c].to_numpy() for c in ("gram", "tox", "ord", "tox0", "ord0"))
     if not len(gram) or not tox.sum() or not ord_.sum():
         return None
     here = tox0 + ord0 > 0

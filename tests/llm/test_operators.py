@@ -325,6 +325,18 @@ def test_toxicity_labels_of_the_held_out_fold_do_not_matter(spark, small):
     same(rows(toxicity.score_toxicity(documents, toxicity.train(documents, labels))), rows(toxicity.score_toxicity(documents, toxicity.train(documents, changed))))
 
 
+def test_toxicity_model_has_every_gram(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 3000)) for _ in range(40)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    g = np.unique(toxicity.grams(train)[0])
+    model = toxicity.train(documents, labels).model
+    assert sum(int((k >= 0).sum()) for k, _ in model.levels) >= len(g) > 90_000
+    assert not len(toxicity._get(model.levels, g)[1])
+
+
 def test_shared_model_sums_to_one():
     rng = np.random.default_rng(2)
     text = "".join(rng.choice(list("abcd "), 3000))
