@@ -63,6 +63,15 @@ def test_block_frames_and_registry(spark):
 # --- speakability
 
 
+def test_needs_model_asks_for_foreign_letters(spark):
+    texts = ["il valore σ cresce", "το σ είναι γράμμα", "una frase e una a", "usa 30B", "", "x σ 30B"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    want = {i: bool(S.foreign_letters_of(t)) or "30B" in t for i, t in enumerate(texts)}
+    assert dict(map(tuple, d.select("key", S.needs_model(F.col("text"), "it")).collect())) == want and want[0]
+    got = stages.sanitize(d.filter("key = 0"), lambda: Scripted(["il valore sigma cresce"]), lambda x: x)
+    assert [tuple(r) for r in got.collect()] == [(0, "il valore sigma cresce")]
+
+
 @pytest.mark.parametrize("text", ["Questa è una frase, con (parentesi).", "This is plain English.", "これは日本語です。", "Это русский текст.", "هذا نص عربي.", "यह हिन्दी है।", "95,3 2024 3 e-mail l'accuratezza — ok"])
 def test_speakable(spark, text):
     assert one(spark, text, lambda c: F.size(S.unspeakable_tokens(c, "it"))) == 0
