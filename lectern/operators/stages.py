@@ -106,12 +106,21 @@ def word_error_rate(said: str | None, heard: str | None) -> float | None:
     a, b = normal_words(said), normal_words(heard)
     if not a:
         return float(bool(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1] / len(a)
+    # a column of the distance table at once: bits of `up` and `down` are its steps of one (Myers)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits = whole, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (whole & ~(across | up)), up & across
+        edits += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        same |= down
+        up, down = less | (whole & ~(same | more)), more & same
+    return edits / len(a)
 
 
 def wer(said: F.Column, heard: F.Column) -> F.Column:

@@ -1,6 +1,7 @@
 """Behaviour of the operators on small inputs, in rows and columns."""
 
 import datetime
+import random
 import unicodedata
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars, speakable as S, unicode_classes as U
 from lectern.operators import html_blocks as H, providers, relational as R, stages
+from lectern.plans import catalogue
 from lectern.sources import feeds, ledger, library
 from lectern.streaming import poll
 
@@ -195,6 +197,22 @@ def test_attach(spark):
     assert {r.idx: r.translated_text for r in R.attach_descriptions(b, f).collect()} == {0: "A chart", 1: None, 2: "a, b", 3: "", 4: None}
 
 
+def test_wer_pairs_scores_whole_texts(spark, tmp_path):
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1] / len(a) if a else float(bool(b))
+
+    rng = random.Random(8)
+    texts = ["", "a", "b a"] + [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (29, 31, 64, 65, 140, 7, 200, 1, 130)]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.wer for r in catalogue.wer_pairs(spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(brute(texts[i].split(), texts[i - 1].split()), abs=1e-6) for i in range(1, len(texts))}
+
+
 def test_word_error_rate(spark):
     assert stages.word_error_rate("Hello, world!", "hello world") == 0 and stages.word_error_rate("a b c d", "a x c") == 0.5 and stages.word_error_rate(None, "a") is None
     assert spark.createDataFrame([("a b", "a")], "a string, b string").select(stages.wer(F.col("a"), F.col("b"))).first()[0] == 0.5
