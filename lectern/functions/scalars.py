@@ -82,10 +82,16 @@ def flatten_rows(rows: Column) -> Column:
     return F.array_join(F.filter(filled, lambda r: r != ""), ". ")
 
 
+def echo_lines(code: Column) -> Column:
+    """The lines of a code, collapsed, whose repetition is an echo: of 16 characters or more."""
+    lines = F.split(code, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
+    return F.filter(F.transform(lines, collapse), lambda x: F.length(x) >= 16)
+
+
 def is_echo(code: Column, reply: Column) -> Column:
     """A description that repeats its code: all of it (8 characters or more) or a line of 16."""
     flat, said = collapse(code), collapse(reply)
-    line = F.exists(F.split(code, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), lambda x: (F.length(collapse(x)) >= 16) & said.contains(collapse(x)))
+    line = F.exists(echo_lines(code), lambda x: said.contains(x))
     return ((F.length(flat) >= 8) & said.contains(flat)) | line
 
 

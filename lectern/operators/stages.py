@@ -18,8 +18,10 @@ from lectern.session import ship
 Make = Callable[[], providers.TextProvider]
 
 
-def answers(rows: DataFrame, key: str, prompt: str, make: Make, attempts: int = 1, good: Callable[[str], bool] = bool) -> DataFrame:
-    """(key, answer, error): up to `attempts` calls per row until an answer is good.
+def answers(rows: DataFrame, key: str, prompt: str, make: Make, attempts: int = 1, good: Callable[[str], bool] = bool, code: str | None = None) -> DataFrame:
+    """(key, answer, error): up to `attempts` calls per row until an answer is good.  With
+    `code`, the column of what an answer must not repeat, it is good if it is no echo; if
+    all are echoes there is an error and no answer.
 
     Rows should hold each key once.  A failed call gives an error and no answer; the
     provider is made once per task.  Write the result before it is used twice.
@@ -30,7 +32,7 @@ def answers(rows: DataFrame, key: str, prompt: str, make: Make, attempts: int =
         provider = make()
         for f in frames:
             said, errors = [], []
-            for p in f[prompt]:
+            for p, c in zip(f[prompt], f[code] if code else f[prompt]):
                 answer = error = None
                 for _ in range(attempts):
                     try:
@@ -38,13 +40,23 @@ def answers(rows: DataFrame, key: str, prompt: str, make: Make, attempts: int =
                     except Exception as e:  # isolated: one row's failure is its own
                         answer, error = None, f"{type(e).__name__}: {e}"
                         break
-                    if good(answer):
+                    if not is_echo(c, answer) if code else good(answer):
                         break
+                else:
+                    if code:
+                        answer, error = None, "echo"
                 said.append(answer), errors.append(error)
             yield pd.DataFrame({key: f[key], "answer": said, "error": errors})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, answer string, error string")
+    return rows.select(key, prompt, *([code] if code else [])).mapInPandas(run, f"{key} {kind}, answer string, error string")
+
+
+def is_echo(code: str | None, reply: str | None) -> bool:
+    """scalars.is_echo of one answer."""
+    flat, said = " ".join((code or "").split()), " ".join((reply or "").split())
+    lines = (" ".join(x.split()) for x in (code or "").splitlines())
+    return len(flat) >= 8 and flat in said or any(len(x) >= 16 and x in said for x in lines)
 
 
 def sanitize(blocks: DataFrame, make: Make, write: Callable[[DataFrame], DataFrame], language: str = "it", key: str = "key", text: str = "text") -> DataFrame:
@@ -81,11 +93,12 @@ def translate(blocks: DataFrame, make: Make, key: str = "key", text: str = "text
     return got.select(key, F.when(F.col("error").isNull(), F.coalesce(F.trim("answer"), F.lit(""))).alias("translated_text"), "error")
 
 
-def describe(rows: DataFrame, cache: DataFrame, make: Make, write: Callable[[DataFrame], DataFrame], key: str = "key") -> tuple[DataFrame, DataFrame]:
+def describe(rows: DataFrame, cache: DataFrame, make: Make, write: Callable[[DataFrame], DataFrame], key: str = "key", code: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(descriptions by key, rows to append to the cache).  One call per key that the cache
-    lacks; declined and failed ones are null and never cached."""
-    todo = rows.select(key, "prompt").dropDuplicates([key]).join(cache.select(key), key, "left_anti")
-    got = write(answers(todo, key, "prompt", make))
+    lacks; declined and failed ones are null and never cached.  With `code`, the column of described
+    code, an answer that repeats it is asked for once more and then counts as failed."""
+    todo = rows.select(key, "prompt", *([code] if code else [])).dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+    got = write(answers(todo, key, "prompt", make, attempts=2 if code else 1, code=code))
     made = got.filter("error IS NULL AND trim(answer) <> ''").select(key, F.trim("answer").alias("description"))
     return cache.select(key, "description").union(made), made
 

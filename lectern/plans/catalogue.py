@@ -32,6 +32,10 @@ def read(spark: SparkSession, place: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{place}/{name}.parquet")
 
 
+#: Short items that are broadcast, at most; more are joined by a shuffle.
+SHORT_ROWS = 1_000_000
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -356,17 +360,24 @@ def dominant_value(spark, place):
 @query(r"""SELECT i.item_id, d.doc_id FROM (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS code FROM benchmark) i
 JOIN (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS said FROM documents) d ON length(code) >= 8 AND contains(said, code)""")
 def echo_guard(spark, place):
-    """Documents that contain a whole item.  An item may start or end inside a word of a
+    """Documents that contain a whole item or a line of one (is_echo's rule).  A part may start or end inside a word of a
     document, but its inner words are whole there: the longest of them is met by equality
-    with the document's distinct words, and the whole item is then looked for.  Items of
-    under three words have no inner word and are not looked for."""
-    b = read(spark, place, "benchmark").select("item_id", scalars.collapse(F.col("text")).alias("code")).filter("length(code) >= 8")
-    b = b.withColumn("w", F.split("code", " ")).filter("size(w) >= 3").withColumn("inner", F.slice("w", 2, F.size("w") - 2))
+    with the document's distinct words, and the whole part is then looked for.  Parts of
+    under three words have no inner word and are looked for in every document."""
+    whole = scalars.collapse(F.col("text"))
+    parts = F.array_append(scalars.echo_lines(F.col("text")), F.when(F.length(whole) >= 8, whole))
+    b = read(spark, place, "benchmark").select("item_id", F.explode(F.array_distinct(parts)).alias("code")).filter("code IS NOT NULL").withColumn("w", F.split("code", " "))
+    short = b.filter("size(w) < 3").select("item_id", "code")
+    b = b.filter("size(w) >= 3").withColumn("inner", F.slice("w", 2, F.size("w") - 2))
     b = b.select("item_id", "code", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"].alias("key"))
     d = read(spark, place, "documents").select("doc_id", scalars.collapse(F.col("text")).alias("said"))
     spots = d.select("doc_id", F.explode(F.array_distinct(F.split("said", " "))).alias("key"))
     met = spots.join(b, "key").select("item_id", "doc_id", "code")
-    return met.join(d, "doc_id").filter(F.col("said").contains(F.col("code"))).select("item_id", "doc_id")
+    if short.limit(SHORT_ROWS + 1).count() <= SHORT_ROWS:
+        short = F.broadcast(short)
+    contains = F.col("said").contains(F.col("code"))
+    found = met.join(d, "doc_id").filter(contains).select("item_id", "doc_id")
+    return found.union(d.join(short, contains).select("item_id", "doc_id")).distinct()
 
 
 @query()

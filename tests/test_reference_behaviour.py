@@ -188,6 +188,26 @@ def test_translate_and_describe(spark):
     assert providers.Offline().generate(providers.prompt("x", "hello", language="it")) == "hello"
 
 
+def test_describe_rejects_echoes(spark):
+    code = "x = compute_all(y)\nreturn x"
+    rows = spark.createDataFrame([("k", "p", code)], "key string, prompt string, code string")
+    cache = spark.createDataFrame([], "key string, description string")
+    for replies, want in (([f"It is {code}", "It computes x."], [("k", "It computes x.")]), (["run x = compute_all(y) then"], []), ([""], []), (["raise"], [])):
+        got, made = stages.describe(rows, cache, lambda: Scripted(replies), lambda d: d, code="code")  # noqa: B023
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in made.collect()] == want
+
+
+def test_echo_guard_finds_short_items_and_lines(spark, tmp_path):
+    items = ["photosynthesis", "carbon dioxide", "short", "one two three four", "a line of many words\nanother line, never said"]
+    texts = ["On photosynthesis.", "of carbon\n dioxide, short", "xone two three fourx", "so a line of many words is said", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, catalogue.echo_guard(spark, str(tmp_path)).collect()))
+    assert got == [(0, 0), (1, 1), (3, 2), (4, 3)]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(items) for j, b in enumerate(texts)], "i long, j long, a string, b string")
+    assert got == sorted(map(tuple, pairs.filter(scalars.is_echo(F.col("a"), F.col("b"))).select("i", "j").collect()))
+
+
 def test_attach(spark):
     b = spark.createDataFrame(
         [(1, 0, "visual", "v1", False, None, None), (1, 1, "visual", "v2", False, None, None), (1, 2, "table", None, False, "a, b", None), (1, 3, "code", None, False, None, None), (1, 4, "prose", None, True, None, None)],
