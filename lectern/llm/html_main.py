@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling (operator 9).
 
-A page becomes a sequence of text blocks.  A classifier turns each block's place in the
-tree, its names and its text into a capacity towards content or boilerplate; neighbours in
-page order and in the tree are tied by smoothness edges; the minimum cut labels all blocks
-of the page at once.
+A page becomes a sequence of text blocks.  A classifier turns each block's text, tag and
+containers into a capacity towards content or boilerplate; neighbours in page order are
+tied by weak edges, and those with one parent by strong ones; the minimum cut labels all
+blocks of the page at once.  The classifier alone is unsure of short paragraphs, titles and
+paragraphs of links inside an article: their neighbours decide.
 """
 
 from __future__ import annotations
@@ -20,33 +21,41 @@ from lectern.llm.common import map_arrow
 #: Tags that end one block and begin another.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Tags whose inside is not text of the page.
-RAW = frozenset("script style noscript template svg iframe textarea object canvas title math audio video select button".split())
+#: Tags whose inside is no markup: it ends at the end tag alone; without one, for the first
+#: two, at the page's end, and the others are passed over.
+RAW = frozenset("script style iframe textarea title".split())
+#: Tags whose text is no text of the page, up to their end tag or the next block that cannot be inside.
+UNSAID = frozenset("svg select button template".split())
 #: Tags without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that hold no article, and those that do.
 OUTSIDE = frozenset("nav footer aside form dialog head menu fieldset".split())
 INSIDE = frozenset("article main".split())
 OFF_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notice|pager|pagination|popup|promos?|recommended|related|replies|reply|search|share|sharing|sidebar|signup|skip|social|sponsor(?:ed)?|"
-    r"subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|byline|comments?|commentary|consent|cookies?|copyright|discussions?|disqus|feedback|footer|gdpr|guestbook|login|"
+    r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promos?|reactions?|recommended|related|replies|reply|respond|responses?|search|share|sharing|"
+    r"sidebar|signup|skip|social|sponsor(?:ed)?|subscribe|subscription|tags|thread|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 ON_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-#: Weights of the classifier (nats towards content) and of the smoothness edges.
-BIAS, IN_ARTICLE, OFF, LINKS, LENGTH, STOP, NOTICE = -1.0, 4.0, -6.0, -5.0, 2.0, 0.7, -3.0
-TAG_WEIGHT = {"p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "blockquote": 1.0, "pre": 0.5, "li": -0.5, "td": -0.5, "th": -0.5, "option": -4.0}
-NEXT, SIBLING = 0.6, 0.6
+#: Weights of the classifier (nats towards content) and of the smoothness edges.  ASIDE: of
+#: what is outside the article, where the page has one.
+BIAS, IN_ARTICLE, ASIDE, OFF, LINKS, LENGTH, STOP, NOTICE = -1.5, 1.15, -3.0, -4.0, -2.5, 3.0, 0.3, -1.0
+TAG_WEIGHT = {"p": 0.25, "h1": 0.5, "h2": 0.3, "h3": 0.3, "h4": 0.3, "blockquote": 0.3, "pre": 0.3, "li": -0.5, "td": -0.5, "th": -0.5, "option": -3.0}
+#: Characters from which a block is long.
+LONG = 200
+NEXT, SIBLING, SECOND = 0.15, 1.15, 0.4
 
 _TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"']|["'])*?)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|itemprop|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
-_NOTICE = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+_NOTICE = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|all rights reserved|we use cookies|enable javascript", re.I)
+_ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
+_UNSAID_ENDS = {t: re.compile(rf"</{t}\b[^>]*>?|(?=<(?:{'|'.join(sorted(BLOCK - {'option', 'optgroup'}))})[\s/>])", re.I) for t in UNSAID - {"template"}} | {"template": re.compile(r"</template\b[^>]*>?", re.I)}
 
 
 @dataclass
@@ -89,7 +98,7 @@ def _node(tag: str, attributes: str, up: Node | None) -> Node:
         weight += IN_ARTICLE
     if off:
         weight += OFF
-    return Node(tag, up, weight, held)
+    return Node(tag, up, weight, held and not off)
 
 
 def blocks(page: str) -> list[Block]:
@@ -124,11 +133,12 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1]
-        if not closing and tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if tag in BLOCK:
-                flush()
+        if tag in RAW or tag in UNSAID:
+            if not closing and not m[3].endswith("/"):
+                end = (_ENDS if tag in RAW else _UNSAID_ENDS)[tag].search(page, at)
+                at = end.end() if end else len(page) if tag in ("script", "style") else at
+                if tag == "select":
+                    flush()
             continue
         if tag == "br":
             parts.append(" ")
@@ -152,31 +162,41 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def weigh(block: Block) -> float:
-    """The classifier's log-odds that a block is content."""
+def weigh(block: Block, aside: float = 0.0) -> float:
+    """The classifier's log-odds that a block is content; aside: the weight of standing
+    outside an article."""
     text, n = block.text, len(block.text)
-    w = BIAS + block.node.weight + TAG_WEIGHT.get(block.node.tag, 0.0) + LINKS * min(1.0, block.linked / n) + LENGTH * min(n, 300) / 300
+    w = BIAS + block.node.weight + TAG_WEIGHT.get(block.node.tag, 0.0) + LINKS * min(1.0, block.linked / n) + LENGTH * min(n, LONG) / LONG
+    if not block.node.inside:
+        w += aside
     if text[-1] in ".!?:;…。！？\"”»)":
         w += STOP
-    if _NOTICE.search(text[:200]):
+    if _NOTICE.search(text):
         w += NOTICE
     return w
 
 
+def weights(found: list[Block]) -> list[float]:
+    aside = ASIDE if any(b.node.inside for b in found) else 0.0
+    return [weigh(b, aside) for b in found]
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: neighbours in page order, more where they share a parent or its parent."""
+    """Smoothness: neighbours in page order, more where they share a parent, and a block
+    with the next but one of the same parent."""
     out = []
-    for i in range(len(found) - 1):
-        a, b = found[i].node, found[i + 1].node
-        near = a is b or (a.up is not None and (a.up is b.up or a.up is b)) or b.up is a
-        out.append((i, i + 1, NEXT + SIBLING if near else NEXT * 0.5))
-        if i + 2 < len(found):
-            c = found[i + 2].node
-            if a.up is not None and a.up is c.up:
-                out.append((i, i + 2, SIBLING * 0.5))
+    for i, (x, y) in enumerate(zip(found, found[1:])):
+        out.append((i, i + 1, NEXT + SIBLING * _together(x.node, y.node)))
+    for i, (x, y) in enumerate(zip(found, found[2:])):
+        if _together(x.node, y.node):
+            out.append((i, i + 2, SECOND))
     return out
 
 
+def _together(a: Node, b: Node) -> bool:
+    return a is b or a.up is not None and (a.up is b.up or a.up is b) or b.up is a
+
+
 def minimum_cut(weights: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: content) that minimise the cut: w > 0 is lost where a block is called
     boilerplate, -w where it is called content, and a tie where its ends differ.
@@ -241,7 +261,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    keep = minimum_cut([weigh(b) for b in found], edges(found))
+    keep = minimum_cut(weights(found), edges(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

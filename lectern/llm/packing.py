@@ -1,10 +1,11 @@
-"""Best-fit packing with swap-based local search (operator 8).
+"""Best-fit packing by swap-based local search (operator 8).
 
 Texts are tokenised and cut into pieces once.  Pieces are dealt into groups by a hash of
-their key, a group is packed by best fit, longest first, and improved by local search:
-pieces move, or are exchanged one for one or two for one, between underfull bins where
-that raises the sum of squared fills, until the emptiest bins are empty.  The bins that a
-group could not fill go on, whole, to fewer and fewer groups.
+their key and filled into bins as they come.  Local search then does the packing: the
+emptiest bin gives its pieces away; a piece moves to the fullest bin that holds it, or is
+exchanged for one piece or for two of another underfull bin, where that raises the sum of
+squared fills, until bins are empty.  The bins that a group could not fill go on, piece by
+piece, to fewer and fewer groups.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,22 +25,18 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces in a group, about.
 GROUP = 6000
-#: Of a group's underfull bins, one in so many (the emptiest) goes on to the next round.
-PASS_ON = 8
+#: Of a group's bins, one in so many (the emptiest underfull ones) goes on to the next round,
+#: where there are a PASS_ON-th of the groups; of small groups at least PASS_LEAST bins.
+PASS_ON, PASS_LEAST = 4, 30
 #: Characters of which both libraries are known to think alike; a text with any other goes
-#: to the tokenizer's own library.
+#: to the tokenizer's own library.  So does one with a long run of white space, over which
+#: the faster library's pattern steps back once for each character.
+_BLANKS = re.compile(r"\s{500}")
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]")
 #: How byte-level BPE cuts a text before merging (a fixed value of this kind of tokenizer).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for
-    themselves, the others from code point 256 on, in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -50,12 +47,12 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        from lectern.llm.token_counts import load
+        from lectern.llm.token_counts import byte_letters, load
 
         self.tok, self.fast = load(path), None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         spec = json.loads(self.tok.to_str())
-        vocab, merges, letters = spec["model"]["vocab"], spec["model"]["merges"], _byte_letters()
+        vocab, merges, letters = spec["model"]["vocab"], spec["model"]["merges"], {c: b for b, c in byte_letters().items()}
         merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in merges]
         in_order = merged == list(range(len(vocab) - len(merges), len(vocab)))
         if in_order and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
@@ -65,7 +62,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("fast", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def text(self, text: str) -> bytes:
-        if self.fast is None or _PLAIN.search(text) or any(s in text for s in self.special):
+        if self.fast is None or _PLAIN.search(text) or _BLANKS.search(text) or any(s in text for s in self.special):
             ids = self.tok.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast(text)
@@ -105,88 +102,154 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, key: str = "do
     return map_arrow(documents.select(key, "text"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", make)
 
 
-def best_fit(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
-    """Bins of positions: longest first, each into the fullest bin that holds it."""
-    by_room: list[list[int]] = [[] for _ in range(length + 1)]  # open bins by room
-    rooms: list[int] = []  # rooms that occur, sorted
-    bins: list[list[int]] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        n = sizes[i]
-        at = bisect_left(rooms, n)
-        if at < len(rooms):
-            room = rooms[at]
-            b = by_room[room].pop()
-            if not by_room[room]:
-                del rooms[at]
-        else:
-            room, b = length, len(bins)
+def next_fit(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
+    """Bins of positions as they come: where a piece does not fit, a new bin begins."""
+    bins, room = [], 0
+    for i, n in enumerate(sizes):
+        if n > room:
             bins.append([])
-        bins[b].append(i)
+            room = length
+        bins[-1].append(i)
         room -= n
-        if room:
-            if not by_room[room]:
-                insort(rooms, room)
-            by_room[room].append(b)
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], length: int = LENGTH, tries: int = 20_000) -> list[list[int]]:
-    """Empty the emptiest underfull bins into the others.
-
-    The bin with the least in it is the giver.  Its pieces move to bins that hold them;
-    what cannot move is exchanged for one piece or for two of a receiver so that the
-    receiver gets fuller and the giver emptier, which always raises the sum of squares.
+class Receivers:
+    """Underfull bins by the room they have, so that a piece's place is looked up by bits:
+    bit s of `ones[r]` (`twos[r]`) is set where a bin of room r has a piece (two pieces) of size s."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes = sizes
+        self.bins: dict[int, dict[int, tuple[int, int]]] = {}
+        self.ones: dict[int, int] = {}
+        self.twos: dict[int, int] = {}
+        self.rooms = 0
+
+    def add(self, b: int, pieces: list[int], room: int) -> None:
+        one = two = 0
+        for i in pieces:
+            two |= one << self.sizes[i]
+            one |= 1 << self.sizes[i]
+        self.bins.setdefault(room, {})[b] = one, two
+        self.ones[room] = self.ones.get(room, 0) | one
+        self.twos[room] = self.twos.get(room, 0) | two
+        self.rooms |= 1 << room
+
+    def remove(self, b: int, room: int) -> None:
+        here = self.bins[room]
+        del here[b]
+        one = two = 0
+        for x, y in here.values():
+            one |= x
+            two |= y
+        self.ones[room], self.twos[room] = one, two
+        if not here:
+            self.rooms ^= 1 << room
+            del self.bins[room], self.ones[room], self.twos[room]
+
+    def roomy(self, n: int) -> int | None:
+        """The fullest bin that holds a piece of size n."""
+        found = self.rooms >> n
+        return next(iter(self.bins[n + (found & -found).bit_length() - 1])) if found else None
+
+    def swap(self, n: int, pairs: bool) -> tuple[int, int] | None:
+        """(bin, size) of what a piece of size n can be exchanged for: a size under n that
+        leaves room for it.  What leaves least room, and of equals what gives most away."""
+        best, found = (1, 0), None
+        for room, mask in (self.twos if pairs else self.ones).items():
+            low = n - room  # at least this size has to go
+            here = (mask >> low if low > 0 else mask << -low) & ((1 << room) - 1)
+            if here:
+                rest = (here & -here).bit_length() - 1
+                if (-rest, room) > best or found is None:
+                    best, found = (-rest, room), (room, low + rest)
+        if found is None:
+            return None
+        room, size = found
+        return next(b for b, masks in self.bins[room].items() if masks[pairs] >> size & 1), size
+
+
+def _of_size(pieces: list[int], sizes: list[int], size: int, pairs: bool) -> tuple[int, ...]:
+    """One piece of a size, or two of that size together."""
+    if not pairs:
+        return (next(i for i in pieces if sizes[i] == size),)
+    seen: dict[int, int] = {}
+    for i in pieces:
+        if size - sizes[i] in seen:
+            return seen[size - sizes[i]], i
+        seen[sizes[i]] = i
+    raise AssertionError("no such pair")
+
+
+def improve(bins: list[list[int]], sizes: list[int], length: int = LENGTH, counts: dict | None = None) -> list[list[int]]:
+    """Empty the emptiest underfull bins into the others, while there are more than the
+    pieces need; counts: of the moves and exchanges made.
+
+    Receivers are at least as full as the giver, so every move and every exchange of a
+    piece for something smaller raises the sum of squared fills, and the giver's fill
+    falls: a giver is done after at most `length` of them.  A giver that can give nothing
+    stays as a receiver of the others.
     """
+    counts = {} if counts is None else counts
+    bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    full = [b for b, f in zip(bins, fill) if f == length]
-    under = sorted(((b, f) for b, f in zip(bins, fill) if f < length), key=lambda x: x[1])
-    bins, fill = [list(b) for b, _ in under], [f for _, f in under]
-    done = [False] * len(bins)
-    for giver in range(len(bins)):
-        if tries <= 0:
-            break
-        if sum(length - f for g, f in enumerate(fill) if g != giver and not done[g]) < fill[giver]:
-            break  # the others have no room for it
+    left, least = len(bins), -(-sum(fill) // length)
+    others = Receivers(sizes)
+    under = [b for b in range(len(bins)) if fill[b] < length]
+    for b in under:
+        others.add(b, bins[b], length - fill[b])
+
+    def give(giver: int, own: tuple[int, ...], b: int, out: tuple[int, ...]) -> None:
+        others.remove(b, length - fill[b])
+        bins[giver] = [j for j in bins[giver] if j not in own] + [*out]
+        bins[b] = [j for j in bins[b] if j not in out] + [*own]
+        step = sum(sizes[j] for j in own) - sum(sizes[j] for j in out)
+        fill[giver] -= step
+        fill[b] += step
+        if fill[b] < length:
+            others.add(b, bins[b], length - fill[b])
+        kind = "moved" if not out else ("one for one", "two for one", "two for two")[len(own) + len(out) - 2]
+        counts[kind] = counts.get(kind, 0) + 1
+
+    def exchange(giver: int) -> bool:
+        ones = [(i,) for i in sorted(bins[giver], key=lambda i: -sizes[i])]
+        pairs = [(i, j) for i, j in combinations(bins[giver], 2) if sizes[i] + sizes[j] <= length]
+        for mine, two in ((ones, False), (ones, True), (pairs, False), (pairs, True)):
+            tried = set()
+            for own in mine:
+                n = sum(sizes[i] for i in own)
+                if n in tried:
+                    continue
+                tried.add(n)
+                got = others.swap(n, two)
+                if got and fill[got[0]] + n - got[1] > fill[giver]:
+                    give(giver, own, got[0], _of_size(bins[got[0]], sizes, got[1], two))
+                    return True
+        return False
+
+    def empty(giver: int) -> bool:
+        others.remove(giver, length - fill[giver])
         moved = True
-        while bins[giver] and moved and tries > 0:
+        while bins[giver] and moved:
             moved = False
-            others = sorted((g for g in range(giver + 1, len(bins)) if fill[g] < length), key=lambda g: -fill[g])
             for i in sorted(bins[giver], key=lambda i: -sizes[i]):
-                for g in others:
-                    tries -= 1
-                    room = length - fill[g]
-                    n = sizes[i]
-                    out: tuple[int, ...] | None = None
-                    if n <= room:
-                        out = ()
-                    else:
-                        need = n - room  # a receiver's pieces of at least this, under n in all
-                        own = sorted(bins[g], key=lambda j: sizes[j])
-                        of = [sizes[j] for j in own]
-                        at = bisect_left(of, need)
-                        if at < len(of) and of[at] < n:
-                            out = (own[at],)
-                        else:
-                            best = n
-                            for x in range(len(own)):
-                                y = bisect_left(of, need - of[x], x + 1)
-                                if y < len(own) and of[x] + of[y] < best:
-                                    best, out = of[x] + of[y], (own[x], own[y])
-                    if out is None:
-                        continue
-                    got = sum(sizes[j] for j in out)
-                    if fill[g] - fill[giver] + n - got <= 0:
-                        continue  # the sum of squares would not rise
-                    bins[giver].remove(i)
-                    bins[giver] += out
-                    bins[g] = [j for j in bins[g] if j not in out] + [i]
-                    fill[giver] += got - n
-                    fill[g] += n - got
+                if (b := others.roomy(sizes[i])) is not None and fill[b] >= fill[giver]:
+                    give(giver, (i,), b, ())
                     moved = True
+            moved = moved or exchange(giver)
+        if bins[giver]:
+            others.add(giver, bins[giver], length - fill[giver])
+        return not bins[giver]
+
+    before = None
+    while before != counts and left > least:  # what one giver could not give may fit after another's exchanges
+        before = dict(counts)
+        for giver in sorted((b for b in under if bins[b] and fill[b] < length), key=lambda b: fill[b]):
+            if fill[giver] < length and empty(giver):  # a bin that received may be full by now
+                left -= 1
+                if left <= least:
                     break
-                if moved:
-                    break
-    return full + [b for b in bins if b]
+    return [b for b in bins if b]
 
 
 def _pack_groups(rows: DataFrame, length: int, last: bool) -> DataFrame:
@@ -194,11 +257,12 @@ def _pack_groups(rows: DataFrame, length: int, last: bool) -> DataFrame:
     offset and whether the bin goes on."""
 
     def pack(pdf):
+        pdf = pdf.sort_values("row", ignore_index=True)
         sizes = pdf["length"].tolist()
-        bins = improve(best_fit(sizes, length), sizes, length)
+        bins = improve(next_fit(sizes, length), sizes, length)
         fills = [sum(sizes[i] for i in b) for b in bins]
         under = sorted((x for x in range(len(bins)) if fills[x] < length), key=lambda x: fills[x])
-        on = set() if last else set(under[: max(1, -(-len(under) // PASS_ON))] if under else [])
+        on = set() if last else set(under[: max(PASS_LEAST, -(-len(bins) // PASS_ON))])
         number, offset, more, row = [0] * len(sizes), [0] * len(sizes), [False] * len(sizes), pdf["row"].tolist()
         for x, b in enumerate(bins):
             at = 0
