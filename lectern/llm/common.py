@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.session import run_arrow
 
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only
-    where that is unset (a single-machine test session), a folder made once."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is
+    unset, a local session gets a folder of its own, and a cluster an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and executors of {master} share no other folder")
         place = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -35,13 +39,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a side that is broadcast, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that is broadcast, at most; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is counted to have at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: T.DataType) -> F.Column:
+    """Bytes of a value, about; texts and arrays by their lengths."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        each = 8 * len(kind.elementType.fields) + 24 if isinstance(kind.elementType, T.StructType) else 8
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.lit(BROADCAST_BYTES)  # not bounded by its length
+        return F.coalesce(F.size(c), F.lit(0)) * each + 24
+    return F.lit(8 if not isinstance(kind, T.StructType) else 8 * len(kind.fields) + 24)
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its values are measured to take at most `most` bytes."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(24))
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:

@@ -171,22 +171,19 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
         labels.select(F.col("doc_id").alias("k"), F.col("quality").alias("q")).dropna()
         .groupBy("k").agg(F.min("q").alias("q")).orderBy(F.xxhash64("k"), "k").limit(rows)
     )
-    # at most `rows` rows: a proven bound
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k")).select("k", "q", "text")
+    # at most `rows` keys, a proven bound; a key that repeats counts once, by its least text
+    found = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
+    found = found.groupBy("k").agg(F.first("q").alias("q"), F.min("text").alias("text"))
 
     def make():
         def one(batch):
-            return {
-                "k": batch.column(0).cast("int64"), "bad": [float(q < 1) for q in batch.column(1).to_pylist()],
-                "x": [statistics(t)[1] for t in batch.column(2).to_pylist()],
-            }
+            return {"bad": [float(q < 1) for q in batch.column(1).to_pylist()], "x": [statistics(t)[1] for t in batch.column(2).to_pylist()]}
 
         return one
 
-    got = map_arrow(found, "k long, bad double, x array<double>", make).toPandas().sort_values("k", kind="stable")
-    if not len(got):
-        return None
-    return fit(np.array(got.x.tolist()), got.bad.to_numpy())
+    got = map_arrow(found, "bad double, x array<double>", make).toPandas()
+    got = sorted(zip(got.bad.tolist(), map(tuple, got.x)))  # the same sums in whatever order rows come
+    return fit(np.array([x for _, x in got]), np.array([bad for bad, _ in got])) if got else None
 
 
 def judge_quality(documents: DataFrame, trees: Trees | None, reject_at: float = REJECT_AT) -> DataFrame:

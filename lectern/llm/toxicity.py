@@ -2,7 +2,9 @@
 
 Two character 5-gram models, of toxic and of ordinary text, discount their own counts and
 back off to one shared Kneser-Ney model of all counts.  A document's score compares their
-length-normalised log-likelihoods.  All labelled training texts are counted, by Spark, and
+length-normalised log-likelihoods, over the whole text and over the passage where they
+differ most (a few words make a text toxic, and the longer it is the less they weigh in the
+whole); a logistic curve turns the two comparisons into a chance.  All labelled training texts are counted, by Spark, and
 every n-gram of them is in the models: the tables of driver and executors grow with the
 number of distinct n-grams.
 """
@@ -25,10 +27,8 @@ CHAR_BITS = 12
 CURVE_ROWS = 8_000
 #: Characters of the window whose mean is a document's strongest passage.
 SPAN = 12
-#: Nats of evidence from which a word counts as strong.
-STRONG = (1.5, 3.0, 6.0)
-N_FEATURES = 3 + 2 * len(STRONG)
-_BLANK = np.array([9, 10, 13, 32, 160])
+#: Ordinary documents called toxic that weigh as much as one toxic document missed.
+MISSED = 3.0
 FOLDS = 5
 #: Occurrences of a context that the shared model counts for in each class, so that an
 #: expression seen once or twice says little.
@@ -202,34 +202,19 @@ def build(gram: np.ndarray, tox: np.ndarray, ord_: np.ndarray) -> Model:
     return Model(_levels(gram, (logs[0] - logs[1]).astype(np.float32)), _levels(np.unique(context), unseen.astype(np.float32)))
 
 
-def features(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Per text: the mean ratio; the mean of its strongest SPAN characters in a row; for
-    each of STRONG, the logarithm of how many words reach so many nats, and of how many in
-    a thousand; the logarithm of its words."""
-    out = np.zeros((len(texts), N_FEATURES))
+def compare(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Per text: the toxic model's log-likelihood less the ordinary one's, a character, of
+    the whole text, and of the SPAN characters in a row where that is largest (of a shorter
+    text: all); zeros for an empty text."""
+    out = np.zeros((len(texts), 2))
     for a, b in chunks([len(t or "") + 8 for t in texts], CHUNK):
         g, bounds = grams(texts[a:b])
         if not len(g):
             continue
-        ratios = model.ratios(g).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
+        sums = np.concatenate([[0.0], np.cumsum(model.ratios(g).astype(np.float64))])
         n = np.diff(bounds)
         rows = np.flatnonzero(n)
         out[a + rows, 0] = (sums[bounds[1:]] - sums[bounds[:-1]])[rows] / n[rows]
-        # words, each with the white space before it
-        blank = np.isin(g & ((1 << CHAR_BITS) - 1), _BLANK)
-        first = np.zeros(len(g), bool)
-        first[bounds[:-1][rows]] = True
-        first[1:] |= blank[1:] & ~blank[:-1]
-        starts = np.flatnonzero(first)
-        owner = np.searchsorted(bounds, starts, side="right") - 1
-        evidence = np.add.reduceat(ratios, starts)
-        words = np.bincount(owner, minlength=b - a)
-        for k, nats in enumerate(STRONG):
-            strong = np.bincount(owner, evidence > nats, b - a)
-            out[a:b, 2 + 2 * k] = np.log1p(strong)
-            out[a:b, 3 + 2 * k] = np.log1p(1000 * strong / np.maximum(words, 1))
-        out[a:b, -1] = np.log1p(words)
         for i in rows.tolist():
             s = sums[bounds[i] : bounds[i + 1] + 1]
             out[a + i, 1] = ((s[SPAN:] - s[:-SPAN]) if n[i] > SPAN else s[-1:] - s[0]).max() / SPAN
@@ -244,20 +229,20 @@ class Scorer:
     scale: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (features(self.model, texts) - self.middle) / self.scale
+        x = (compare(self.model, texts) - self.middle) / self.scale
         z = np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps on standardised features."""
+    """Logistic regression by Newton steps on the standardised comparisons."""
     middle, scale = x.mean(0), x.std(0) + 1e-9
     a = np.concatenate([np.ones((len(x), 1)), (x - middle) / scale], 1)
-    w = np.zeros(a.shape[1])
+    w, weigh = np.zeros(a.shape[1]), np.where(y > 0, MISSED, 1.0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - l2 * w)
+        h = (a * (weigh * p * (1 - p))[:, None]).T @ a + l2 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weigh * (y - p)) - l2 * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -294,19 +279,21 @@ def train(documents: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS)
 
     def make():
         def one(batch):
-            x = features(shared.value, batch.column(1).to_pylist())
-            return {"doc_id": batch.column(0).cast("int64"), "toxic": batch.column(2).cast("float64"), "x": list(x)}
+            x = compare(shared.value, batch.column(1).to_pylist())
+            return {"toxic": batch.column(2).cast("float64"), "x": list(x)}
 
         return one
 
-    rows = documents.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(sample), F.col("d") == F.col("doc_id")).select("doc_id", "text", "toxic")
-    got = map_arrow(rows, "doc_id long, toxic double, x array<double>", make).toPandas().sort_values("doc_id", kind="stable")
-    y = (got.toxic.to_numpy() > 0).astype(float)
-    if len(got) and 0 < y.sum() < len(y):
-        weights, middle, scale = _curve(np.array(got.x.tolist()), y)
+    # a key that repeats counts once, by its least text: at most `curve_rows` rows reach the driver
+    rows = documents.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(sample), F.col("d") == F.col("doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    got = map_arrow(rows, "toxic double, x array<double>", make).toPandas()
+    got = sorted(zip(got.toxic.tolist(), map(tuple, got.x)))  # the same sums in whatever order rows come
+    y = np.array([t > 0 for t, _ in got], float)
+    if 0 < y.sum() < len(y):
+        weights, middle, scale = _curve(np.array([x for _, x in got]), y)
     else:
-        weights, middle, scale = np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES), np.full(N_FEATURES, 0.05)
-        weights[1] = 1.0  # the mean ratio alone
+        weights, middle, scale = np.array([0.0, 1.0, 0.0]), np.zeros(2), np.full(2, 0.05)  # the whole text alone
     return Scorer(build(gram, tox, ord_), weights, middle, scale)
 
 

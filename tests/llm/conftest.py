@@ -41,7 +41,7 @@ def clashing(spark, edge_rows):
     from pyspark.sql import functions as F
 
     out = make(spark, edge_rows)
-    for c in ("fp", "pos", "h", "k1", "key", "doc", "words", "host", "path", "rule", "verdict", "row", "g", "piece", "offset", "removed", "n_removed0", "starts", "node", "root", "q", "k", "t", "toxic"):
+    for c in ("fp", "pos", "h", "k1", "key", "doc", "words", "host", "path", "rule", "verdict", "row", "g", "piece", "offset", "removed", "n_removed0", "id", "name", "size", "starts", "node", "root", "q", "k", "t", "toxic"):
         out = out.withColumn(c, F.lit("clash"))
     return out
 
