@@ -33,7 +33,7 @@ def collapse(text: Column) -> Column:
 def image_url(url: Column) -> Column:
     """The inner URL of a proxied one: percent-encoded, else nested, else unchanged."""
     inner = F.regexp_extract(url, r"(?s)(https%3A%2F%2F.*)$", 1)
-    nested = F.regexp_extract(url, r"(?s)^.+?(https://.*)$", 1)
+    nested = F.regexp_extract(url, r"(?s)^.{8,}?(https://.*)$", 1)
     plain = F.try_url_decode(F.replace(inner, F.lit("+"), F.lit("%2B")))
     return F.when(inner != "", F.coalesce(plain, inner)).when(nested != "", nested).otherwise(url)
 
@@ -50,10 +50,20 @@ def shape(w: Column, h: Column) -> Column:
     return F.when(ratio >= 4.0, "formula").when((ratio >= 2.4) & (h < 500), "banner").otherwise("figure")
 
 
+def host(url: Column) -> Column:
+    """The host of a URL in lower case; empty without one."""
+    return F.lower(F.regexp_extract(url, r"^[^:]+://(?:[^@/?#]*@)?([^/?#:]+)", 1))
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters begins with a capital, after digits and apostrophes too."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+
+
 def host_author(url: Column) -> Column:
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:]+://(?:[^@/?#]*@)?([^/?#:]+)", 1)), r"^www\.", "")
-    first = F.regexp_replace(F.regexp_extract(host, r"^[^.]*", 0), "-", " ")
-    return F.when(F.coalesce(first, F.lit("")) == "", "Unknown").otherwise(F.initcap(first))
+    first = F.replace(F.regexp_extract(F.regexp_replace(host(url), r"^www\.", ""), r"^[^.]*", 0), F.lit("-"), F.lit(" "))
+    return F.when(F.coalesce(first, F.lit("")) == "", "Unknown").otherwise(title_case(first))
 
 
 def year_of(published: Column) -> Column:

@@ -10,11 +10,30 @@ class TextProvider(Protocol):
 
 
 class SpeechProvider(Protocol):
+    def look(self, prompt: str, url: str) -> str:
+        return '{"klass": "illustrative", "description": "A picture."}'
+
     def speak(self, text: str) -> bytes: ...
 
     def transcribe(self, audio: bytes) -> str: ...
 
 
+class VisionProvider(Protocol):
+    def look(self, prompt: str, url: str) -> str: ...
+
+
+class PageProvider(Protocol):
+    def get(self, url: str) -> str: ...
+
+
+class Busy(Exception):
+    """A host asks to come back later; wait: seconds, where it says so."""
+
+    def __init__(self, wait: float | None = None):
+        super().__init__(f"busy, wait {wait}")
+        self.wait = wait
+
+
 class Offline:
     """Answers with the text after the prompt's last marker, or with nothing if it has none."""
 
@@ -23,6 +42,9 @@ class Offline:
     def generate(self, prompt: str) -> str:
         return prompt.rpartition(self.MARK)[2]
 
+    def look(self, prompt: str, url: str) -> str:
+        return '{"klass": "illustrative", "description": "A picture."}'
+
     def speak(self, text: str) -> bytes:
         return f"[{text}]".encode()
 

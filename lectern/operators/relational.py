@@ -68,11 +68,15 @@ def parse_verdict(raw: F.Column, block_count: F.Column) -> F.Column:
 
 
 def apply_verdict(blocks: DataFrame, verdicts: DataFrame, item: str = "item_id") -> DataFrame:
-    """dropped and deictic from (item, verdict); the number of blocks never changes."""
+    """dropped, deictic and truncated_at from (item, verdict); the number of blocks never
+    changes.  truncated_at: on the first block of a dropped tail, its text or else its kind."""
     joined = blocks.join(verdicts.select(F.col(item), "verdict"), item, "left")
     tail = F.coalesce(F.col("idx") >= F.col("verdict.tail_from"), F.lit(False))
     listed = F.coalesce(F.array_contains("verdict.drop", F.col("idx")), F.lit(False))
     back = F.coalesce(F.array_contains("verdict.refers_back", F.col("idx")), F.lit(False))
+    first = F.col("idx") == F.col("verdict.tail_from")
+    kind = F.col("kind") if "kind" in blocks.columns else F.lit(None).cast("string")
+    joined = joined.withColumn("truncated_at", F.when(first, F.coalesce(F.nullif(F.col("text"), F.lit("")), kind)))
     return joined.withColumn("dropped", tail | listed).withColumn("deictic", F.when(back, "back")).withColumn(
         "text", F.when(tail | listed, "").otherwise(F.col("text"))
     ).drop("verdict")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import speakable as S
+from lectern.functions.language import display_name
 from lectern.operators import providers
 from lectern.session import ship
 
@@ -59,22 +60,25 @@ def is_echo(code: str | None, reply: str | None) -> bool:
     return len(flat) >= 8 and flat in said or any(len(x) >= 16 and x in said for x in lines)
 
 
-def sanitize(blocks: DataFrame, make: Make, write: Callable[[DataFrame], DataFrame], language: str = "it", key: str = "key", text: str = "text") -> DataFrame:
+def sanitize(blocks: DataFrame, make: Make, write: Callable[[DataFrame], DataFrame], language: str = "it", key: str = "key", text: str = "text", previous: str | None = None) -> DataFrame:
     """(key, speech_text): two rounds with the model for text that needs it, then the strip.
 
     Blank text is silent; speakable text passes; a failing call or an unspeakable second
-    answer is stripped.  An empty answer is silence.
+    answer is stripped.  An empty answer is silence.  The model is told the text before
+    (`previous`, a column) and what the gate found.
     """
-    clean = blocks.select(key, S.remove_invisible(F.col(text)).alias("t")).withColumn("blank", F.trim("t") == "")
+    before = F.coalesce(F.col(previous), F.lit("")) if previous else F.lit("")
+    clean = blocks.select(key, before.alias("before"), S.remove_invisible(F.col(text)).alias("t")).withColumn("blank", F.trim("t") == "")
     gate = F.coalesce(S.needs_model(F.col("t"), language), F.lit(False))
     passed = clean.filter(F.col("blank") | ~gate).select(key, F.when(F.col("blank"), "").otherwise(F.col("t")).alias("speech_text"))
-    todo, out = clean.filter(~F.col("blank") & gate).select(key, "t"), [passed]
+    todo, out = clean.filter(~F.col("blank") & gate).select(key, "before", "t"), [passed]
     for turn in (1, 2):
-        asked = todo.withColumn("prompt", F.concat(F.lit(f"STAGE: sanitize {turn}\n\nTEXT:\n"), "t"))
+        head = F.lit(f"STAGE: sanitize {turn}\nLANGUAGE: {display_name(language)}\nPREVIOUS: ")
+        asked = todo.withColumn("prompt", F.concat(head, "before", F.lit("\nLEFTOVER: "), S.describe_unspeakable(F.col("t"), language), F.lit("\n\nTEXT:\n"), "t"))
         got = write(todo.join(answers(asked, key, "prompt", make), key))
         failed = got.filter("error IS NOT NULL")
         out.append(failed.select(key, S.strip_unspeakable(F.col("t"), language).alias("speech_text")))
-        told = got.filter("error IS NULL").select(key, S.remove_invisible(F.col("answer")).alias("t"))
+        told = got.filter("error IS NULL").select(key, "before", S.remove_invisible(F.col("answer")).alias("t"))
         dirty = F.coalesce(S.needs_model(F.col("t"), language), F.lit(False))
         out.append(told.filter(~dirty).select(key, F.trim("t").alias("speech_text")))
         todo = told.filter(dirty)
