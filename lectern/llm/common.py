@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,32 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.session import run_arrow
+from lectern.session import durable, run_arrow, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is
-    unset, a local session gets a folder of its own, and a cluster an error."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError(f"spark.checkpoint.dir is not set, and executors of {master} share no other folder")
-        place = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back, so that
-    a lost executor costs a reread, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables that durable() wrote and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("lectern-"):
+                jvm = df.sparkSession._jvm
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of a side that is broadcast, at most; larger ones are joined by a shuffle.
