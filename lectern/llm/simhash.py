@@ -232,7 +232,8 @@ def near_duplicates(documents: DataFrame, k: int = BITS, shingle: int = SHINGLE,
 
 def keep_one(documents: DataFrame, k: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of documents, all columns, whose doc_id is their component's smallest; of
-    rows that repeat a doc_id, one.  Rows without a doc_id cannot be named and all stay."""
+    rows that repeat a doc_id and a text, one.  Unlike texts under one doc_id all stay where
+    one of them does.  Rows without a doc_id cannot be named and all stay."""
     keep = near_duplicates(documents, k, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     unnamed = documents.filter(documents.doc_id.isNull())
-    return documents.join(keep, documents.doc_id == keep.kept_id, "left_semi").dropDuplicates(["doc_id"]).union(unnamed)
+    return documents.join(keep, documents.doc_id == keep.kept_id, "left_semi").dropDuplicates(["doc_id", "text"]).union(unnamed)

@@ -51,8 +51,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     host, path, rule or verdict are replaced; nothing else is read or renamed.
     """
     own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    host, path = split_url(pages[url])
-    judged = pages.select(*[pages[c].alias(f"own_{i}") for i, c in enumerate(own)], host.alias("host"), path.alias("path"))
+    host, path = split_url(F.col(f"`{url}`"))
+    judged = pages.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], host.alias("host"), path.alias("path"))
     known = (
         rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("cut"))
         .dropna().groupBy("rule", "cut").agg(F.max("verdict").alias("verdict"))

@@ -305,6 +305,8 @@ def test_simhash_keeps_one(spark, edge, none):
     kept = [r.doc_id for r in simhash.keep_one(edge).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for d, _, c in rows(simhash.near_duplicates(edge)) if d is not None})
     assert kept.count(None) == 2 and simhash.keep_one(none).count() == 0
+    two = spark.createDataFrame([(5, "one text of its own"), (5, "and quite another one"), (5, "and quite another one")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(two).collect()) == ["and quite another one", "one text of its own"]
 
 
 # --- 4: toxicity
@@ -681,6 +683,7 @@ def test_urls(spark, small):
     same(got, [(i, *brute_url(u, more)) for i, u in [*enumerate(URLS), (0, None)]])
     assert url_rules.judge_urls(frame, url_rules.rules_table(spark).limit(0)).filter("verdict = 'allow' AND rule IS NULL").count() == len(URLS) + 1
     assert url_rules.judge_urls(frame.limit(0), url_rules.rules_table(spark)).count() == 0
+    assert "a.b" in url_rules.judge_urls(frame.withColumnRenamed("digest", "a.b"), url_rules.rules_table(spark)).columns
 
 
 def test_urls_against_sql(spark, middle):
