@@ -235,6 +235,20 @@ def test_line_dedup_against_edit_similarity_alone(spark):
     assert got == {i: int(first[i] != i) for i in range(len(lines))}
 
 
+def test_line_dedup_links_all_of_a_crowd(spark):
+    """Near copies whose only keys in common are those of a passage that many unlike lines have."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(rng.choice(letters, n))
+    passage = " ".join(word(6) for _ in range(40))
+    lines = []
+    for _ in range(60):
+        own = [word(9) for _ in range(20)]
+        lines += [" ".join([passage, *own]), " ".join([passage, *(w[:4] + "é" + w[5:] for w in own)])]
+    got = dict(rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).select("doc_id", "n_removed")))
+    assert got == {i: i % 2 for i in range(len(lines))}
+
+
 # --- 3: SimHash
 
 
