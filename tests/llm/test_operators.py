@@ -249,6 +249,40 @@ def test_line_dedup_links_all_of_a_crowd(spark):
     assert got == {i: i % 2 for i in range(len(lines))}
 
 
+def test_line_dedup_verifies_by_edit_distance(spark):
+    """Pairs around the similarity, each by the distance itself, and each step worked out once."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(1, 8)))
+
+    def distance(a, b):
+        row, y, at = np.arange(len(b) + 1), np.array(list(b)), np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != x))])
+            row = np.minimum.accumulate(new - at) + at
+        return int(row[-1])
+
+    data = []
+    for n in (3, 12, 50, 130, 200):
+        for share in (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.7, 1):
+            for kind in range(4):
+                words = [word() for _ in range(n)]
+                other = list(words)
+                for p in sorted(rng.choice(n, int(share * n), replace=False), reverse=True):
+                    if kind == 0:
+                        other[p] = word()
+                    elif kind == 1:
+                        other[p : p + 1] = [[], [words[p], word()], [word()]][rng.integers(0, 3)]
+                    elif kind == 2:
+                        other[p] = "x" + other[p][1:]
+                    else:
+                        other = other[p:] + other[:p] if p == n // 2 else other[:p] + other[p + 1 :]
+                data.append((len(data), len(data), " ".join(words), " ".join(other) or "x"))
+    met = line_dedup.alike(spark.createDataFrame(data, "a long, b long, ta string, tb string"))
+    want = {i for i, _, x, y in data if 5 * distance(x, y) <= max(len(x), len(y))}
+    assert {a for a, _ in rows(met)} == want and 40 < len(want) < 160
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
 def test_line_dedup_pairs_runs_in_place_only(spark):
     """Unlike lines of one length with a passage at places too far apart for the edits allowed
     are no pairs; lines that have it in place, or twice, are."""
