@@ -249,6 +249,31 @@ def test_line_dedup_links_all_of_a_crowd(spark):
     assert got == {i: i % 2 for i in range(len(lines))}
 
 
+def test_line_dedup_moves_no_pairs_of_a_crowd(spark, monkeypatch):
+    """Unlike lines that share a passage are compared where they meet, in slices and places as well."""
+    import random
+
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(12))
+    lines = [passage + " " + " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(30)]
+    lines += [lines[0][:-3] + "xyz", lines[7][:-9]]
+    compared, plain = [], line_dedup.alike
+
+    def alike(both):
+        top = next(x for x in both._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x)
+        compared.append((top, both.select("a", "b").collect()))
+        return plain(both)
+
+    monkeypatch.setattr(line_dedup, "alike", alike)
+    for name in ("CROWD", "SLICE_BYTES"):
+        monkeypatch.setattr(line_dedup, name, 4, raising=False)
+    got = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).select("doc_id", "n_removed"))
+    assert sorted(got) == [(i, int(i > 29)) for i in range(32)]
+    pairs = Counter(frozenset(p) for _, found in compared[1:] for p in found)
+    assert len(pairs) > 200 and max(pairs.values()) == 1
+    assert all("key#" in top and "place#" in top for top, _ in compared[1:])
+
+
 def test_line_dedup_verifies_by_edit_distance(spark):
     """Pairs around the similarity, each by the distance itself, and each step worked out once."""
     rng = np.random.default_rng(8)
