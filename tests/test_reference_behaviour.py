@@ -376,6 +376,17 @@ def test_bad_pages_are_isolated(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "ValueError: broken")]
 
 
+def test_pages_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "run_arrow", lambda df, run, schema: run)
+    run = H.read_pages(spark.createDataFrame([], "page_id long, html string"), "page_id", "html", "item_id long, idx int, error string", lambda page: [{"idx": i} for i in range(len(page.blocks))])
+    pages = [(i, None if i % 5 == 0 else f"<article><p>{'a' * 100_000}</p><p>b</p></article>") for i in range(100)]
+    out = list(run([pa.RecordBatch.from_pylist([{"page_id": i, "html": h} for i, h in pages])]))
+    assert [r["item_id"] for b in out for r in b.to_pylist()] == [i for i, h in pages if h for _ in range(2)]
+    assert max(b.num_rows for b in out) <= 30
+
+
 def test_notes_lose_their_number():
     page = "<article><p>Text<a href='#footnote-a-2'>2</a></p><div class=footnote><a class=footnote-number>2</a> The note.</div></article>"
     assert kinds(page) == [("prose", "Text. The note.")]
