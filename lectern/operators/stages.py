@@ -69,7 +69,8 @@ def sanitize(blocks: DataFrame, make: Make, write: Callable[[DataFrame], DataFra
     """
     before = F.coalesce(F.col(previous), F.lit("")) if previous else F.lit("")
     clean = blocks.select(key, before.alias("before"), S.remove_invisible(F.col(text)).alias("t")).withColumn("blank", F.trim("t") == "")
-    gate = F.coalesce(S.needs_model(F.col("t"), language), F.lit(False))
+    # the gate is dear: what it said is written, not worked out again wherever it is asked
+    clean, gate = write(clean.withColumn("gate", F.coalesce(S.needs_model(F.col("t"), language), F.lit(False)))), F.col("gate")
     passed = clean.filter(F.col("blank") | ~gate).select(key, F.when(F.col("blank"), "").otherwise(F.col("t")).alias("speech_text"))
     todo, out = clean.filter(~F.col("blank") & gate).select(key, "before", "t"), [passed]
     for turn in (1, 2):
@@ -79,9 +80,9 @@ def sanitize(blocks: DataFrame, make: Make, write: Callable[[DataFrame], DataFra
         failed = got.filter("error IS NOT NULL")
         out.append(failed.select(key, S.strip_unspeakable(F.col("t"), language).alias("speech_text")))
         told = got.filter("error IS NULL").select(key, "before", S.remove_invisible(F.col("answer")).alias("t"))
-        dirty = F.coalesce(S.needs_model(F.col("t"), language), F.lit(False))
-        out.append(told.filter(~dirty).select(key, F.trim("t").alias("speech_text")))
-        todo = told.filter(dirty)
+        told = write(told.withColumn("dirty", F.coalesce(S.needs_model(F.col("t"), language), F.lit(False))))
+        out.append(told.filter("NOT dirty").select(key, F.trim("t").alias("speech_text")))
+        todo = told.filter("dirty").drop("dirty")
     out.append(todo.select(key, S.strip_unspeakable(F.col("t"), language).alias("speech_text")))
     whole = out[0]
     for x in out[1:]:

@@ -357,6 +357,15 @@ def test_strip_cleans_a_text_once_and_in_long_runs(spark):
     assert one(spark, text, S.unspeakable_tokens) == ["a1b", "C++"]
 
 
+def test_sanitize_asks_its_gate_once(spark):
+    from lectern.session import durable
+
+    said = spark.createDataFrame([("a", "una parola"), ("b", "con C++ dentro"), ("c", " ")], "key string, text string")
+    out = stages.sanitize(said, providers.Offline, durable)
+    assert "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString() and "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(map(tuple, out.collect())) == {"a": "una parola", "b": "con dentro", "c": ""}
+
+
 # --- bad pages
 
 
